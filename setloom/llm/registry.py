@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lz_fingerprint, mixing, packing, simhash, token_counts
+from . import embedding_dedup, lz_fingerprint, mixing, packing, simhash, token_counts
 from .common import read
 
 QUERIES = {
+    "op2_embedding_multi_index": lambda spark, sf_dir: embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings")),
     "op1_lz_fingerprint": lambda spark, sf_dir: lz_fingerprint.lz_fingerprints(read(spark, sf_dir, "documents")),
     "op5_mix_sources": lambda spark, sf_dir: mixing.mix(read(spark, sf_dir, "documents")),
     "op6_simhash_covering": lambda spark, sf_dir: simhash.near_duplicates(read(spark, sf_dir, "documents")),
