@@ -64,7 +64,7 @@ def evaluate(spark: SparkSession, tree: Expr, keys: DataFrame | None = None) ->
     """The tree's values as a lazy DataFrame; it keeps its plan and can be run many times."""
     flat = simplify(tree)
     if isinstance(flat, Empty):
-        return spark.createDataFrame([], "value bigint")
+        return spark.range(0).select(F.col("id").alias("value"))
     used = leaves(flat)
     return masks(spark, used, keys).where(predicate(flat, {leaf: k for k, leaf in enumerate(used)})).select("value")
 
