@@ -233,6 +233,51 @@ def test_lines(spark):
     assert got == [(1, 2, 0, ""), (2, 3, 2, "0,2"), (3, 0, 0, ""), (4, 1, 0, ""), (5, 1, 0, ""), (5, 1, 0, "")]
 
 
+def brute_lines(rows):
+    """doc_id -> dropped positions, by comparing all lines of at least five words with each other."""
+    places = [(d, k, tuple(re.findall(r"[^\W_]+", line.lower()))) for d, text in rows for k, line in enumerate(text.split("\n"))]
+    places = sorted(p for p in places if len(p[2]) >= 5)
+
+    def alike(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return row[-1] <= max(len(x), len(y)) // 5
+
+    roots = components_of(sorted({p[2] for p in places}), alike)
+    seen, gone = set(), {}
+    for d, k, words in places:
+        if roots[words] in seen:
+            gone.setdefault(d, []).append(k)
+        seen.add(roots[words])
+    return gone
+
+
+def dropped_lines(spark, rows):
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: [int(k) for k in r.dropped.split(",")] for r in got if r.dropped}
+
+
+def test_edited_lines(spark):
+    """Lines with words replaced, left out, put in and swapped: every line within the similarity is found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))
+    rows, k = [], 0
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(5, 40))]
+        for _ in range(rng.randint(1, 5)):
+            line = list(base)
+            for _ in range(rng.randint(0, len(base) // 4)):
+                at, how = rng.randrange(len(line)), rng.randrange(4)
+                line[at : at + 1] = [[word()], [], [line[at], word()], line[at : at + 1]][how]
+            rows.append((k := k + 1, " ".join(line)))
+    want = brute_lines(rows)
+    assert len(want) > 80
+    assert dropped_lines(spark, rows) == want
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
