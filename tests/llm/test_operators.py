@@ -278,6 +278,18 @@ def test_edited_lines(spark):
     assert dropped_lines(spark, rows) == want
 
 
+def test_lines_of_one_crowded_key(spark, monkeypatch):
+    """Numeric rows share most of their words: links between any two of them count, not only those with the least."""
+    rows = [(1, "0 0 0 0 0 0 5 7\n0 0 0 0 0 0 5 9\n0 0 0 0 0 0 1 2"), (2, "3 0 0 0 0 0 0 4\n8 8 8 8 8 8 8 8\n8 8 8 8 8 8 8 1")]
+    rng = random.Random(9)
+    rows += [(k, " ".join(str(rng.choice([0, 0, 0, 1])) for _ in range(10)) + f" {rng.randint(0, 9)}" * 4) for k in range(3, 60)]
+    want = brute_lines(rows)
+    assert want[1] == [1]
+    assert dropped_lines(spark, rows) == want
+    monkeypatch.setattr(line_dedup, "CROWDED", 2)
+    assert dropped_lines(spark, rows) == want
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
