@@ -290,6 +290,12 @@ def test_lines_of_one_crowded_key(spark, monkeypatch):
     assert dropped_lines(spark, rows) == want
 
 
+def test_lines_without_spaces(spark):
+    line = "我们今天在这里讨论数据清理的方法和结果"
+    rows = [(1, line), (2, line + "。"), (3, line[:9] + "新" + line[10:]), (4, "短句\n短句"), (5, "ภาษาไทยไม่มีช่องว่าง\nภาษาไทยไม่มีช่องว่าง")]
+    assert dropped_lines(spark, rows) == {2: [0], 3: [0], 5: [1]}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
