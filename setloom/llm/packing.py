@@ -5,10 +5,10 @@ length histogram (at most ``capacity`` counts) reaches the driver. There the con
 
     minimise sum_p x_p   subject to   sum_p a[p, l] * x_p >= n[l]
 
-is solved by multiplicative weights: every round prices all configurations at once by a knapsack
-dynamic program over the current length weights, takes a step along the best one, rounded down to
-whole sequences, and lowers the weights of the lengths it covers. What the last round leaves is
-packed best-fit decreasing on the histogram. The plan is a table of (length, first rank, ...) rows whose size does
+is solved approximately by multiplicative weights: a knapsack dynamic program prices all
+configurations at once by the current length weights, a step goes along a good one, and the weights
+of the lengths it covers fall. The fractional solution is rounded down, and what it leaves is packed
+best-fit decreasing on the histogram. The plan is a table of (length, first rank, ...) rows whose size does
 not depend on the number of documents; pieces find their place by their rank among pieces of their
 length, computed with bucketed prefix counts.
 """
@@ -16,6 +16,7 @@ length, computed with bucketed prefix counts.
 from __future__ import annotations
 
 import base64
+import logging
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, tokenizer_file
 
+log = logging.getLogger(__name__)
+
 #: Buckets a length's pieces are spread over while they are ranked.
 RANK_BUCKETS = 4096
 
@@ -130,32 +133,56 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def bounded(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """The best configuration that uses no length more often than it is left; room that a cut surplus frees is priced again."""
-    counts, room, weights = np.zeros(capacity + 1, dtype=np.int64), capacity, weights.copy()
-    while room > 0:
-        more = np.zeros_like(counts)
-        more[: room + 1] = priced(weights[: room + 1], room)
-        if not more.any():
-            break
-        counts += np.minimum(more, left - counts)
-        weights[counts >= left] = 0
-        rest = capacity - int((counts * np.arange(capacity + 1)).sum())
-        if rest == room or (counts < left)[more > 0].all():
+def fractional(need: np.ndarray, capacity: int, accuracy: float = 0.02, rate: float = 0.1, steps: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
+    """An approximate fractional solution of the configuration LP: configurations (rows), times each, and a lower bound on the LP's value.
+
+    Multiplicative weights for covering: a length's weight falls by exp(-rate) each time it is
+    covered once over, and one piece of it is worth its weight divided by its need. A step goes along
+    a configuration worth at least 1 - rate / 2 of the best, until the length it covers the most,
+    relative to its need, is covered once more; lengths covered as often as the theory asks drop out.
+    All weights divided by the worth of the best configuration bound the LP from below, as do
+    pieces longer than capacity - t, counted whole, with the ids of those from t on, for any t up to half. The first configurations are those of best-fit decreasing. It ends when the value
+    is within accuracy of the bound, or after so many steps; the bound tells how far it came.
+    """
+    lengths = np.flatnonzero(need)
+    n = need[lengths].astype(float)
+    pool = np.array([c[lengths] for c, _ in best_fit(need, capacity)], dtype=float)
+    known = {c.tobytes() for c in pool}
+    bound = max(float(n[lengths > capacity - t].sum() + (n * lengths)[(lengths >= t) & (lengths <= capacity - t)].sum() / capacity) for t in range(capacity // 2 + 1))
+    times, done, enough = np.zeros(len(pool)), np.zeros(len(n)), np.log(len(n) + 1) / rate**2
+    best, least, top = times, np.inf, np.inf
+    for step in range(steps):
+        weights = np.where(done < enough, np.exp(-rate * (done - done.min())), 0.0)
+        worth = pool @ (weights / n)
+        k = int(worth.argmax())
+        if worth[k] < (1 - rate / 2) * top * weights.sum() or step % 200 == 0:
+            prices = np.zeros(capacity + 1)
+            prices[lengths] = weights / n
+            config = priced(prices, capacity)[lengths].astype(float)
+            most = float(config @ (weights / n))
+            bound, top = max(bound, float(weights.sum()) / most), most / float(weights.sum())
+            if config.tobytes() not in known:
+                known.add(config.tobytes())
+                pool, times, k = np.vstack([pool, config]), np.append(times, 0.0), len(pool)
+        by = 1 / (pool[k] / n).max()
+        times[k] += by
+        done += by * pool[k] / n
+        if done.min() > 0 and times.sum() / done.min() < least:
+            best, least = times / done.min(), times.sum() / done.min()
+        if least <= (1 + accuracy) * bound or done.min() >= enough:
             break
-        room = rest
-    return counts
+    return pool[: len(best)], best, bound
 
 
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 1500, rate: float = 0.05, share: int = 200, tilt: float = 0.05) -> list[tuple[np.ndarray, int]]:
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Whole-numbered solution of the configuration LP: (counts by length, number of sequences) groups.
 
-    Full pieces are their own sequences. Each round's step is 1/share of the bound on sequences, or
-    less where a length would be covered more often than needed, rounded down to whole sequences
-    (one at least). tilt raises the first weights of long pieces, which fit with fewer others. rounds bounds the configurations and so the plan's size, whatever the number of
-    pieces; every piece is covered exactly once.
+    Full pieces are their own sequences. The fractional solution is rounded down, its excess left
+    out, and what it leaves is packed best-fit decreasing; where best-fit decreasing alone takes no
+    more sequences, it is the plan. The plan's size does not depend on the number of pieces; every
+    piece is covered exactly once.
     """
-    left, lengths = np.zeros(capacity + 1, dtype=np.int64), np.arange(capacity + 1)
+    left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
     out: list[tuple[np.ndarray, int]] = []
@@ -164,22 +191,25 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 1500,
         alone[capacity] = 1
         out.append((alone, int(left[capacity])))
         left[capacity] = 0
-    need, tokens = np.maximum(left, 1), int((left * lengths).sum())
-    most = max(1, int(max(tokens / capacity, left[capacity // 2 + 1 :].sum())) // share)
-    for _ in range(rounds):
-        open_lengths = left > 0
-        if not open_lengths.any():
-            break
-        covered = 1 - left / need
-        lag = covered - covered[open_lengths].min()
-        config = bounded(np.where(open_lengths, lengths * (1 + tilt * lengths / capacity) * np.exp(-rate * lag), 0.0), left, capacity)
+    if not left.any():
+        return out
+    plain, lengths = best_fit(left, capacity), np.flatnonzero(left)
+    pool, times, bound = fractional(left, capacity)
+    fewest = sum(n for _, n in plain)
+    rounded: list[tuple[np.ndarray, int]] = []
+    for k in np.argsort(-times, kind="stable"):
+        config = np.zeros(capacity + 1, dtype=np.int64)
+        config[lengths] = pool[k]
         used = config > 0
-        n = max(1, min(most, int((left[used] // config[used]).min())))
-        left[used] -= n * config[used]
-        out.append((config, n))
+        n = min(int(times[k] + 1e-9), int((left[used] // config[used]).min()))
+        if n:
+            left[used] -= n * config[used]
+            rounded.append((config, n))
     if left.any():
-        out += best_fit(left, capacity)
-    return out
+        rounded += best_fit(left, capacity)
+    taken = sum(n for _, n in rounded)
+    log.info("packing: %d sequences from the LP, %d best-fit decreasing, LP bound %.1f, besides full pieces", taken, fewest, bound)
+    return out + (rounded if taken < fewest else plain)
 
 
 def plan_rows(groups: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:

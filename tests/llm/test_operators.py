@@ -74,6 +74,19 @@ def test_packing(edge):
     assert len(by) <= sum(r.length for r in rows) / 1024 * 1.05 + 2
 
 
+@pytest.mark.parametrize("histogram", [{513: 3000, 340: 3000}, {600: 3000, 340: 3000}, {n: 20 + 3000 * (n == 520) for n in range(20, 900, 3)}])
+def test_packing_of_skewed_lengths(histogram):
+    need = np.array([histogram.get(n, 0) for n in range(1025)])
+    groups = packing.configurations(histogram, 1024)
+    assert (sum(c * n for c, n in groups) == need).all()
+    assert all((c * np.arange(1025)).sum() <= 1024 for c, _ in groups)
+    taken = sum(n for _, n in groups)
+    pool, times, bound = packing.fractional(need, 1024)
+    assert (times @ pool >= need[need > 0] * (1 - 1e-9)).all() and bound <= taken
+    assert taken <= sum(n for _, n in packing.best_fit(need, 1024))
+    assert taken <= 1.03 * bound + 1
+
+
 def test_targets_and_mix(edge):
     rows = mixing.mix(edge).collect()
     again = {(r.doc_id, r.size, r.taken) for r in mixing.mix(edge.repartition(5)).collect()}
