@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -26,8 +27,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars side menu menus nav navbar navigation breadcrumb breadcrumbs "
     "comment comments commentlist disqus reply replies respond footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
-    "signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar search skip hidden disclaimer copyright legal tags byline".split()
+    "signup login social related recommended recommendations widget widgets pagination pager toolbar search skip hidden disclaimer".split()
 )
+#: A class with one of these words, such as has-sidebar, tells what stands beside the block, not what it is.
+BESIDE = frozenset("has with no without".split())
+#: Share of a block's points that its container gets, and then each ancestor of what the one below has got from its descendants.
+FIRST_SHARE, NEXT_SHARE = 0.5, 0.6
 #: Elements that a start tag of these closes when they are open.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -39,13 +44,13 @@ _hiding = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("blocks", "children", "dropped", "holds", "items", "linked", "parent", "points", "score", "tag", "total")
+    __slots__ = ("children", "dropped", "handed", "holds", "items", "linked", "parent", "points", "score", "tag", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node] = []
         self.items: list = []  # child nodes and (text, linked characters) blocks, in page order
-        self.score = self.points = 0.0
+        self.score = self.points = self.handed = 0.0
         self.total = self.linked = 0
         self.holds = tag in ("article", "main")
 
@@ -58,8 +63,10 @@ def _marked(tag: str, attributes: str) -> bool:
     for name, a, b, c in _attribute.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if any(w.lower() in MARKS for w in _words.findall(value)):
-                return True
+            for token in value.split():
+                said = {w.lower() for w in _words.findall(token)}
+                if not MARKS.isdisjoint(said) and BESIDE.isdisjoint(said):
+                    return True
         elif name == "role":
             if value.strip().lower() in ROLES:
                 return True
@@ -72,6 +79,8 @@ def tree(page: str) -> Node:
     """The page's block elements with their texts; tags may be missing or misplaced."""
     root = Node("html", None, False)
     at, node, links, text, linked = 0, root, 0, [], 0
+    open_tags: Counter[str] = Counter()
+    closed_for_good: set[str] = set()  # raw elements without an end tag from here on
 
     def settle() -> None:
         nonlocal linked
@@ -91,6 +100,8 @@ def tree(page: str) -> Node:
                 linked += len("".join(plain.split()))
 
     def opened(tags, fences) -> Node | None:
+        if not any(open_tags[t] for t in tags):
+            return None
         x = node
         while x is not None and x.tag not in fences:
             if x.tag in tags:
@@ -98,6 +109,22 @@ def tree(page: str) -> Node:
             x = x.parent
         return None
 
+    def leave(x: Node) -> None:
+        """Close the open elements down to x and x itself."""
+        nonlocal node
+        while node is not x.parent:
+            open_tags[node.tag] -= 1
+            node = node.parent
+
+    def end_of(tag: str, pattern: str):
+        """The tag's next end tag from here on; pages where it is missing are searched for it once."""
+        if tag in closed_for_good:
+            return None
+        end = re.compile(pattern, re.I).search(page, at)
+        if end is None:
+            closed_for_good.add(tag)
+        return end
+
     while True:
         found = _token.search(page, at)
         if not found:
@@ -112,10 +139,10 @@ def tree(page: str) -> Node:
         if tag in RAW and not closing:
             if not (attributes or "").endswith("/"):
                 if tag == "head":  # its own elements are raw or void; it ends where it or the body says
-                    end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
+                    end = end_of(tag, r"</head\s*>|(?=<body[\s>])")
                     at = end.end() if end else at
                 else:
-                    end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
+                    end = end_of(tag, rf"</{re.escape(tag)}\s*[^>]*>")
                     at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
             text.append(" ")
         elif tag == "a":
@@ -124,7 +151,7 @@ def tree(page: str) -> Node:
             text.append(" ")
         elif tag in DROPPED and tag not in BLOCKS:  # inline controls
             if not closing:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = end_of(tag, rf"</{tag}\s*>")
                 at = end.end() if end else at
         elif tag in BLOCKS:
             if closing:
@@ -133,21 +160,23 @@ def tree(page: str) -> Node:
                     settle()
                 elif match is not None and match.parent is not None:
                     settle()
-                    node, links = match.parent, 0
+                    leave(match)
+                    links = 0
             else:
                 settle()
                 links = 0
                 if tag in ("html", "body"):
                     continue
                 if (p := opened({"p", *HEADINGS} if tag in HEADINGS else {"p"}, {"td", "th", "li", "div", "section", "article", "blockquote", "body", "html"})) is not None:
-                    node = p.parent
+                    leave(p)
                 if tag in SAME and (same := opened(SAME[tag], FENCE[tag])) is not None:
-                    node = same.parent
+                    leave(same)
                 if tag == "hr":
                     continue
                 child = Node(tag, node, _marked(tag, attributes or ""))
                 node.items.append(child)
                 node.children.append(child)
+                open_tags[tag] += 1
                 node = child
     settle()
     return root
@@ -182,15 +211,17 @@ def main_text(page: str | None) -> str:
         if x.dropped or x.parent is not None and id(x.parent) in gone:
             gone.add(id(x))
 
+    titled: set[int] = set()  # headers, and blocks in them, whose headings are the article's
+    for x in nodes:
+        if x.tag == "header":
+            above = x.parent is None or id(x.parent) not in gone
+        else:
+            above = x.tag in ("hgroup", "div") and not x.dropped and x.parent is not None and id(x.parent) in titled
+        if above:
+            titled.add(id(x))
+
     def kept(x: Node) -> bool:
-        if id(x) not in gone:
-            return True
-        if x.tag not in HEADINGS or id(x) not in inside:
-            return False
-        p = x.parent
-        while p is not None and (p.tag in ("hgroup", "div") and not p.dropped):
-            p = p.parent
-        return p is not None and p.tag == "header" and (p.parent is None or id(p.parent) not in gone)
+        return id(x) not in gone or x.tag in HEADINGS and id(x) in inside and x.parent is not None and id(x.parent) in titled
 
     for x in nodes:
         if id(x) in gone:
@@ -199,16 +230,19 @@ def main_text(page: str | None) -> str:
             if isinstance(item, tuple):
                 size, linked = len(item[0]), item[1]
                 points = (0.1 + item[0].count(",") + min(size / 100, 3) + (size >= 25)) * (1 - linked / size)
-                level, p = 0, x.parent if x.tag in ("p", "pre", "td", "th", "li", "blockquote", "dd", "dt", *HEADINGS) and x.parent is not None else x
-                while p is not None:
-                    p.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                    level, p = level + 1, p.parent
-                p = x
-                while p is not None:
-                    p.points += points
-                    p.total += size
-                    p.linked += linked
-                    p = p.parent
+                p = x.parent if x.tag in ("p", "pre", "td", "th", "li", "blockquote", "dd", "dt", *HEADINGS) and x.parent is not None else x
+                p.score += points
+                x.points += points
+                x.total += size
+                x.linked += linked
+    for x in reversed(nodes):  # from the leaves up, so that a page takes time in proportion to its size
+        if x.parent is not None:
+            x.parent.handed += FIRST_SHARE * x.score + NEXT_SHARE * x.handed
+            x.parent.points += x.points
+            x.parent.total += x.total
+            x.parent.linked += x.linked
+    for x in nodes:
+        x.score += x.handed
     best, most = None, 0.0
     for x in alive:
         if id(x) not in gone and x.total:

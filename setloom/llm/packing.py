@@ -44,32 +44,53 @@ def encoder(path: str, special: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: len(ranks)} if special else {})
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks: str = "byte_bpe_50k.tiktoken", special: str = "<|endoftext|>") -> DataFrame:
-    """Token pieces of every whole text: doc_id, piece, start, length, ids_crc32.
+@lru_cache(maxsize=2)
+def reference(path: str):
+    """The vocabulary's own encoder, whose ids count."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_ids(text: str, ranks: str, vocabulary: str, special: str) -> np.ndarray:
+    """The ids of the text. The rank file's encoder gives the same ones several times faster, but raises
+    where a run of white space is too long for it (about a million characters); such texts go to the vocabulary's own."""
+    try:
+        return encoder(tokenizer_file(ranks), special).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(reference(tokenizer_file(vocabulary)).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks: str = "byte_bpe_50k.tiktoken", vocabulary: str = "byte_bpe_50k.json", special: str = "<|endoftext|>") -> DataFrame:
+    """Token pieces of every whole text: doc_id, piece, start, length, ids_crc32, bucket.
 
     A document is its ids followed by end_id, so a null or empty text is that one id. Only a longer
     one than capacity is cut: all its pieces have capacity ids but the first, which may be shorter.
+    bucket, below RANK_BUCKETS, spreads the pieces evenly, those of repeated rows too. A null doc_id stays.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = encoder(tokenizer_file(ranks), special).encode_to_numpy
+        count = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(encode(text or "", allowed_special="all"), end_id).astype("<u4")
+                    ids = np.append(token_ids(text or "", ranks, vocabulary, special), end_id).astype("<u4")
                     end, piece, start = (len(ids) - 1) % capacity + 1, 0, 0
                     while start < len(ids):
                         for column, x in zip(rows, (doc, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())), strict=True):
                             column.append(x)
                         piece, start, end = piece + 1, end, end + capacity
+                # places in a full cycle of all buckets, so that even few rows of a task are spread
+                buckets = (np.arange(count, count + len(rows[0])) * 2654435761 % RANK_BUCKETS).astype(np.int32)
+                count += len(rows[0])
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], pa.array(buckets)], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int")
 
 
 def priced(weights: np.ndarray, capacity: int) -> np.ndarray:
@@ -237,21 +258,19 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, ranks: str = "b
     one common length is spread over RANK_BUCKETS groups.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, capacity, end_id, ranks), "pieces")
+    cut = stored(pieces(docs, capacity, end_id, ranks), "pieces")  # written, so that buckets are the same wherever it is read
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_rows(configurations(histogram, capacity))
     places = spark.createDataFrame(plan, "length long, rank_from long, rank_to long, each long, sequence_from long, offset_from long")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).alias("bucket")
-    dealt = cut.select("*", bucket)
     before = (
-        dealt.groupBy("length", "bucket")
+        cut.groupBy("length", "bucket")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     )
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
-        dealt.withColumn("k", F.row_number().over(inside) - 1)
+        cut.withColumn("k", F.row_number().over(inside) - 1)
         .join(before, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("k"))
     )

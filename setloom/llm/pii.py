@@ -3,15 +3,17 @@
 Candidate spans come from the base patterns and from looser ones. Labelers vote on each: the pattern
 with its checks, gazetteers (top-level domains, issuers, calling codes, reserved networks), the words
 before it and the characters around it. Expectation-maximisation over the counts of vote patterns
-estimates how reliable each labeler is, and a logistic span classifier is trained on the posteriors.
-Base spans always stay; the classifier adds loose candidates that it finds likelier than not.
+estimates how reliable each labeler is, and a logistic span classifier is trained on the posteriors; it
+sees the votes and what no labeler looks at: a span's length, share of digits, separators and the
+characters beside it. Base spans always stay; the classifier adds loose candidates that it finds likelier than not.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -28,14 +30,24 @@ BASE = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}+ ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,24}+",
     "phone": r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]| dot )[0-9]{1,3}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7})(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[./_]|[\x20-]{2,3})[0-9]{4}(?:[./_]|[\x20-]{2,3})[0-9]{4}(?:[./_]|[\x20-]{2,3})[0-9]{4}(?![0-9])",
 }
 GATE = {"email": "contains(text, '@')", "ip": "text rlike '[0-9][.][0-9]'", "card": "text rlike '[0-9]'", "phone": "contains(text, '+')"}
-LOOSE_GATE = {"email": "text rlike ' at |[(]at[)]|[\\\\[]at[\\\\]]'", "phone": "text rlike '[0-9]{3}[ .-][0-9]{4}'"}
+LOOSE_GATE = {"email": "text rlike ' at |[(]at[)]|[\\\\[]at[\\\\]]'", "phone": "text rlike '[0-9]{3}[ .-][0-9]{4}'", "ip": "text rlike '[0-9][.][\\\\])]|[0-9](?:[\\\\[]dot|[(\\\\[][.]| dot )|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]'", "card": "text rlike '[0-9]{4}(?:[./_]|[ -]{2,3})[0-9]{4}'"}
 TLDS = "com org net edu gov mil int info biz io dev app ai co uk de fr es it nl be ch at pl se no dk fi pt gr ie cz hu ro ru ua tr cn jp kr in au nz ca us mx br ar cl za eu me tv".split()
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 WORDS = {"email": "mail|contact|write|address", "ip": "ip|host|server|addr|login|client", "card": "card|visa|credit|payment|debit|amex", "phone": "phone|tel|call|fax|mobile|cell|contact"}
 AGAINST = "version|isbn|issn|order|invoice|sku|ref|page|doi|release|build"
 LABELERS = ("pattern", "gazetteer", "context", "surroundings")
+#: What the classifier sees of a span besides the votes, each with a few values from 0.
+SHAPE = {
+    "f0": ("length", 4, "case when length(x.hit) < 10 then 0 when length(x.hit) < 16 then 1 when length(x.hit) < 24 then 2 else 3 end"),
+    "f1": ("digits", 3, "case when 10 * length(regexp_replace(x.hit, '[^0-9]', '')) >= 9 * length(x.hit) then 2 when 2 * length(regexp_replace(x.hit, '[^0-9]', '')) >= length(x.hit) then 1 else 0 end"),
+    "f2": ("separators", 3, "case when x.hit rlike '[0-9A-Za-z][ ][0-9A-Za-z]' then 2 when x.hit rlike '[-./_]' then 1 else 0 end"),
+    "f3": ("before", 3, "case when x.before = '' or x.before rlike '\\\\s$' then 0 when x.before rlike '[\\\\p{L}0-9]$' then 2 else 1 end"),
+    "f4": ("after", 3, "case when x.after = '' or x.after rlike '^\\\\s' then 0 when x.after rlike '^[\\\\p{L}0-9]' then 2 else 1 end"),
+}
 _OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 _ISSUERS = "^(?:4[0-9]{12}(?:[0-9]{3})?(?:[0-9]{3})?|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|35[0-9]{14})$"
 
@@ -92,7 +104,7 @@ def _gazetteer(kind: str) -> str:
         listed = ", ".join(_sql(t) for t in TLDS)
         return f"if(lower(regexp_extract(x.hit, '([A-Za-z0-9-]+)$', 1)) in ({listed}), 1, -1)"
     if kind == "ip":
-        return "if(x.hit rlike '^(?:0|10|127|22[4-9]|2[345][0-9])[.]|^192[.]168[.]|^172[.](?:1[6-9]|2[0-9]|3[01])[.]', -1, 1)"
+        return "case when x.hit like '%:%' then if(x.hit rlike '^(?:fe80|fc|fd|0:)', -1, 1) when x.hit rlike '(?:^|[^0-9])(?:2(?:5[6-9]|[6-9][0-9])|[3-9][0-9]{2})(?:[^0-9]|$)' then -1 when x.hit rlike '^(?:0|10|127|22[4-9]|2[345][0-9])[^0-9]|^192[^0-9]+168[^0-9]|^172[^0-9]+(?:1[6-9]|2[0-9]|3[01])[^0-9]' then -1 else 1 end"
     if kind == "card":
         return f"if({_digits('x.hit')} rlike {_sql(_ISSUERS)}, 1, -1)"
     codes = "|".join(sorted(CALLING, key=len, reverse=True))
@@ -100,11 +112,11 @@ def _gazetteer(kind: str) -> str:
 
 
 def _voted(kind: str, source: str, base: str, k: int) -> str:
-    """SQL array of candidates (start, k, end, base, votes) of matches."""
+    """SQL array of candidates (start, k, end, base, votes, shape) of matches."""
     context = f"case when lower(x.before) rlike '(?:{AGAINST})[^a-z]*$' then -1 when lower(x.before) rlike '{WORDS[kind]}' then 1 else 0 end"
     around = "if(x.before rlike '[A-Za-z0-9_#/=\"]$' or x.after rlike '^[A-Za-z0-9_#/=\"]', -1, 1)"
     pattern = f"if({base}, 1, -1)" if base != "false" else "0"
-    return f"transform({source}, x -> struct(x.start as start, {k} as k, x.end as end, {base} as base, {pattern} as v0, {_gazetteer(kind)} as v1, {context} as v2, {around} as v3))"
+    return f"transform({source}, x -> struct(x.start as start, {k} as k, x.end as end, {base} as base, {pattern} as v0, {_gazetteer(kind)} as v1, {context} as v2, {around} as v3, {', '.join(f'{sql} as {f}' for f, (_, _, sql) in SHAPE.items())}))"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -145,21 +157,61 @@ def reliabilities(patterns: list[tuple], rounds: int = 60) -> tuple[dict[str, fl
     return right, posterior
 
 
-def train(patterns: list[tuple], posterior: dict[tuple, float], rounds: int = 300, rate: float = 0.5) -> list[float]:
-    """Logistic regression on the posteriors: weights of the bias, the four votes and the kinds after the first."""
-    rows = [([1.0, *map(float, p[1:5]), *[float(p[0] == k) for k in range(1, len(KINDS))]], posterior[tuple(p[:-1])], math.log1p(p[-1])) for p in patterns]
-    weights = [0.0, 1.0, 0.5, 0.5, 0.5, *[0.0] * (len(KINDS) - 1)]
+def features(k: int, votes: tuple, shape: tuple) -> list[float]:
+    """The classifier's row of a span: bias, votes, kinds after the first, values after the first of each shape feature."""
+    out = [1.0, *map(float, votes), *[float(k == j) for j in range(1, len(KINDS))]]
+    for value, (_, values, _) in zip(shape, SHAPE.values(), strict=True):
+        out += [float(value == j) for j in range(1, values)]
+    return out
+
+
+def train(spans: list[tuple], posterior: dict[tuple, float], rounds: int = 400, rate: float = 0.5) -> list[float]:
+    """Logistic regression of the posteriors on features(), over (k, v0..v3, f0.., n) rows, by gradient descent."""
+    rows = [(features(p[0], p[1:5], p[5:-1]), posterior[tuple(p[:5])], math.log1p(p[-1])) for p in spans]
+    width = len(features(0, (0,) * 4, (0,) * len(SHAPE)))
+    weights = [0.0, 1.0, 0.5, 0.5, 0.5, *[0.0] * (width - 5)]
     total = sum(n for _, _, n in rows) or 1.0
+    cells = [([j for j, v in enumerate(x) if v], x, y, n) for x, y, n in rows]
     for _ in range(rounds):
-        slope = [0.0] * len(weights)
-        for x, y, n in rows:
-            error = 1 / (1 + math.exp(-sum(w * v for w, v in zip(weights, x, strict=True)))) - y
-            for j, v in enumerate(x):
-                slope[j] += n * error * v / total
+        slope = [0.0] * width
+        for at, x, y, n in cells:
+            error = n * (1 / (1 + math.exp(-sum(weights[j] * x[j] for j in at))) - y) / total
+            for j in at:
+                slope[j] += error * x[j]
         weights = [w - rate * (g + 0.001 * w) for w, g in zip(weights, slope, strict=True)]
     return weights
 
 
+def odds_sql(w: list[float]) -> str:
+    """SQL of the classifier's log odds for a candidate c."""
+    parts = [repr(w[0]), *[f"{w[1 + j]!r} * c.v{j}" for j in range(len(LABELERS))]]
+    at = 1 + len(LABELERS)
+    parts.append("case c.k " + " ".join(f"when {k} then {w[at + k - 1]!r}" for k in range(1, len(KINDS))) + " else 0.0 end")
+    at += len(KINDS) - 1
+    for f, (_, values, _) in SHAPE.items():
+        parts.append(f"case c.{f} " + " ".join(f"when {j} then {w[at + j - 1]!r}" for j in range(1, values)) + " else 0.0 end")
+        at += values - 1
+    return " + ".join(parts)
+
+
+def free_spans(spans: DataFrame) -> DataFrame:
+    """row, start, k, end of added spans that overlap no base span and no added one before them that stays.
+
+    spans has row, start, k, end, base. Base spans that reach over a start, and those that begin before an
+    end, are found by running extremes in order of places; what is left is taken greedily
+    within groups of added spans that overlap in a chain, so a row takes n log n time.
+    """
+    by_row = Window.partitionBy("row").orderBy("start", "end", "k")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(by_row.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    alone = spans.withColumn("reach", reach).withColumn("next", following).where("not base and coalesce(reach <= start, true) and coalesce(next >= end, true)")
+    earlier = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    chained = alone.withColumn("new", F.when(F.col("start") < earlier, 0).otherwise(1)).withColumn("chain", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chains = chained.groupBy("row", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "end", "k"))).alias("c"))
+    taken = F.expr("aggregate(c, cast(array() as array<struct<start:bigint,end:bigint,k:int>>), (s, x) -> if(size(s) = 0 or element_at(s, -1).end <= x.start, array_append(s, x), s))")
+    return chains.select("row", F.explode(F.when(F.size("c") == 1, F.col("c")).otherwise(taken)).alias("c")).select("row", "c.start", "c.k", "c.end")
+
+
 def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every whole text.
 
@@ -167,20 +219,27 @@ def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     a base span or an earlier added one. Places are code points, ends exclusive. A null text is empty
     and has no spans; a null doc_id stays; repeated rows come out each; an empty table gives no row;
     other columns are not read. One pass over the texts and no shuffle of them; the driver gets the
-    counts of vote patterns, at most 324 rows.
+    counts of vote patterns and shapes, at most 324 * 324 rows whatever the input.
     """
-    found = stored(candidates(docs), "spans")
-    votes = found.select(F.explode("found").alias("c")).groupBy("c.k", "c.v0", "c.v1", "c.v2", "c.v3").agg(F.count("*").alias("n"))
-    patterns = sorted(tuple(r) for r in votes.collect())
-    _, posterior = reliabilities(patterns)
-    w = train(patterns, posterior)
-    kinds = " ".join(f"when {k} then {w[4 + k]!r}" for k in range(1, len(KINDS)))
-    odds = f"({w[0]!r} + {w[1]!r} * c.v0 + {w[2]!r} * c.v1 + {w[3]!r} * c.v2 + {w[4]!r} * c.v3 + case c.k {kinds} else 0.0 end)"
+    found = stored(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "spans")
+    shape = [f"c.{f}" for f in SHAPE]
+    seen = found.select(F.explode("found").alias("c")).groupBy("c.k", "c.v0", "c.v1", "c.v2", "c.v3", *shape).agg(F.count("*").alias("n"))
+    spans = sorted(tuple(r) for r in seen.collect())
+    patterns: Counter[tuple] = Counter()
+    for *key, n in spans:
+        patterns[tuple(key[:5])] += n
+    _, posterior = reliabilities([(*key, n) for key, n in sorted(patterns.items())])
+    odds = odds_sql(train(spans, posterior))
     likely = math.log(least / (1 - least))
     names = " ".join(f"when {k} then '{kind}'" for k, kind in enumerate(KINDS))
     written = lambda spans: f"array_join(transform({spans}, c -> concat(case c.k {names} end, ':', c.start, ':', c.end)), ',')"
-    both = found.select("doc_id", F.expr("array_sort(transform(filter(found, c -> c.base), c -> struct(c.start, c.k, c.end)))").alias("base"), F.expr(f"array_sort(transform(filter(found, c -> not c.base and {odds} >= {likely!r}), c -> struct(c.start, c.k, c.end)))").alias("more"))
-    free = "filter(more, (c, i) -> not exists(base, b -> b.start < c.end and c.start < b.end) and not exists(slice(more, 1, i), b -> b.start < c.end and c.start < b.end))"
-    joined = both.withColumn("all", F.expr(f"if(size(more) = 0, base, array_sort(concat(base, {free})))"))
+    place = "c -> struct(c.start, c.k, c.end)"
+    both = found.select("row", "doc_id", F.expr(f"array_sort(transform(filter(found, c -> c.base), {place}))").alias("base"), F.expr(f"transform(filter(found, c -> not c.base and {odds} >= {likely!r}), {place})").alias("more"))
+    split = stored(both, "split")
+    wider = split.where("size(more) > 0")
+    tagged = lambda column, is_base: wider.select("row", F.explode(column).alias("c")).select("row", "c.start", "c.k", "c.end", F.lit(is_base).alias("base"))
+    added = free_spans(tagged("base", True).union(tagged("more", False))).groupBy("row").agg(F.collect_list(F.struct("start", "k", "end")).alias("added"))
+    with_added = wider.join(added, "row", "left").select("doc_id", "base", F.expr("if(added is null, base, array_sort(concat(base, added)))").alias("all"))
+    every = split.where("size(more) = 0").select("doc_id", "base", F.col("base").alias("all")).union(with_added)
     counts = [F.expr(f"cast(size(filter(base, c -> c.k = {k})) as bigint)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return joined.select("doc_id", *counts, F.sha2(F.expr(written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(written("all")).alias("spans"))
+    return every.select("doc_id", *counts, F.sha2(F.expr(written("base")).cast("binary"), 256).alias("base_sha256"), F.expr(written("all")).alias("spans"))

@@ -12,7 +12,7 @@ import random
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -23,6 +23,9 @@ SEED = 42
 #: linked through the shared neighbours of their members, which takes time in proportion to the size.
 BUCKET_PAIRS = 128
 
+#: Document keys that are broadcast at most, under 60 bytes each.
+BROADCAST_ROWS = 1_000_000
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -62,18 +65,21 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every whole text; fp is the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, width: int = 3, *more: Column) -> DataFrame:
+    """(doc_id, fp) of every whole text, with more columns; fp is the fingerprint as a signed 64-bit number."""
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            kept = batch.num_columns - 1
+            prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(kept)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(prints.view(np.int64))], [*batch.schema.names[:kept], "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, f"{schema}, fp long")
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -122,6 +128,38 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def kept_documents(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """The documents without near-duplicates: doc_id, text, lang, source, n_chars of one row of each group.
+
+    Groups are those of near_duplicates, over rows instead of ids. The row with the smallest doc_id
+    stays, null last; of rows with one doc_id that with the least text hash. So rows that
+    share a doc_id but not a group all stay, and rows without doc_id stay only if nothing in their group has one. Of rows with
+    equal doc_id and text one stays. All null, empty and wordless texts are one group. An empty table gives no row.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    key = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h")]
+    prints = stored(fingerprints(docs, width, *key), "fingerprints")
+    roots = components(links(prints, radius)).withColumnRenamed("node", "fp")
+    rows = prints.groupBy("fp", "no_id", "id", "h").agg(F.count("*").alias("n")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = stored(rows, "rows")
+    place = F.struct("no_id", "id", "h")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = rows.join(first, "root").where(place != F.col("first")).select(*[F.col(c).alias(f"gone_{c}") for c in ("no_id", "id", "h")])
+    gone = stored(gone, "gone")
+    keyed = docs.select(*columns, *key)
+
+    def of(table: DataFrame, how: str, prefix: str) -> DataFrame:
+        # only the keys of some documents; beyond the bound the documents are shuffled
+        some = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+        return keyed.join(some, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{prefix}{c}") for c in ("no_id", "id", "h")]), how)
+
+    several = stored(rows.where("n > 1").select(*[F.col(c).alias(f"twice_{c}") for c in ("no_id", "id", "h")]), "several")
+    keyed = of(gone, "left_anti", "gone_")
+    once = of(several, "left_anti", "twice_").select(*columns)
+    more = of(several, "left_semi", "twice_").dropDuplicates(["no_id", "id", "h"]).select(*columns)
+    return once.union(more)
+
+
 def hamming(a: str, b: str) -> int:
     """Differing bits of two fingerprints in hexadecimal."""
     return reduce(lambda n, x: n + x.bit_count(), [int(a, 16) ^ int(b, 16)], 0)
