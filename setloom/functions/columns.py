@@ -26,6 +26,12 @@ def word_bit(value: str = "value") -> Column:
     return F.expr(f"shiftleft(1L, cast({value} & 63 as int))")
 
 
+def inside(value: str) -> str:
+    """SQL of the value expression as a BIGINT that raises outside the unsigned 32-bit range; null stays null."""
+    v = f"cast({value} as bigint)"
+    return f"CASE WHEN {v} BETWEEN 0 AND {TOP} THEN {v} WHEN {v} IS NOT NULL THEN cast(raise_error(concat('not an unsigned 32-bit id: ', cast({v} as string))) as bigint) END"
+
+
 def values(df: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """df as a set: one BIGINT column value, distinct, null dropped; out-of-domain ids raise, or are dropped."""
     v = F.col(column).cast("bigint")
@@ -44,3 +50,11 @@ def ascending(df: DataFrame, set_id: str = "set_id", value: str = "value", order
     ok = before.isNull() | (F.col(value) > before)
     checked = F.when(ok, F.col(value)).otherwise(F.raise_error(F.lit("values must be strictly ascending")).cast("bigint"))
     return df.select(set_id, checked.alias(value))
+
+
+def extended(sets: DataFrame, more: DataFrame) -> DataFrame:
+    """(set_id, value) of sets with the values of more appended; raises where one is not above all values its set has."""
+    top = sets.groupBy("set_id").agg(F.max("value").alias("top"))
+    after = F.when(F.col("top").isNull() | (F.col("value") > F.col("top")), F.col("value")).otherwise(F.raise_error(F.lit("appended values must be above those of the set")).cast("bigint"))
+    appended = more.select("set_id", "value").distinct().join(top, "set_id", "left").select("set_id", after.alias("value"))
+    return sets.select("set_id", "value").union(appended)

@@ -17,14 +17,26 @@ MOST_BYTES = 8192  # of a container's payload
 def runs(sets: DataFrame) -> DataFrame:
     """set_id, start, stop (inclusive): maximal runs of consecutive values, across blocks.
 
-    Runs are found per block first, so that no window holds more than 65,536 values; the short list of
-    block runs is then joined where one ends at a block's last value and the next begins at its first.
+    Runs are found per block first, so that no window holds more than 65,536 values; those that touch
+    a block's first or last value, two a block at most, are then joined over the borders.
     """
-    inside = block_runs(sets).select("set_id", (F.shiftleft(F.col("key").cast("bigint"), 16) + F.col("start")).alias("start"), (F.shiftleft(F.col("key").cast("bigint"), 16) + F.col("start") + F.col("length")).alias("stop"))
-    w = Window.partitionBy("set_id").orderBy("start")
-    new = F.when(F.lag("stop").over(w) + 1 == F.col("start"), 0).otherwise(1)
-    grouped = inside.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return grouped.groupBy("set_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("set_id", "start", "stop")
+    first = F.shiftleft(F.col("key").cast("bigint"), 16)
+    inside = block_runs(sets).select("set_id", (first + F.col("start")).alias("start"), (first + F.col("start") + F.col("length")).alias("stop"))
+    return over_borders(inside, "set_id")
+
+
+def over_borders(block_runs: DataFrame, *by: str) -> DataFrame:
+    """Maximal runs from those of each block: by, start, stop.
+
+    Only runs at a block's border can go on in the next one. There are at most two a block, 131,072 of
+    a set, and each joins a chain with its neighbours; all other runs are passed on as they are.
+    """
+    at_border = (F.col("start").bitwiseAND(F.lit(65535)) == 0) | (F.col("stop").bitwiseAND(F.lit(65535)) == 65535)
+    w = Window.partitionBy(*by, "all").orderBy("start")
+    edge = block_runs.where(at_border).select(*by, "start", "stop", F.lit(0).alias("all"))
+    edge = edge.withColumn("new", F.when(F.lag("stop").over(w) + 1 == F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    chains = edge.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return block_runs.where(~at_border).select(*by, "start", "stop").union(chains.select(*by, "start", "stop"))
 
 
 def block_runs(sets: DataFrame) -> DataFrame:
@@ -86,6 +98,16 @@ def plan_keys(stats: DataFrame, op: str, operands: Sequence[str]) -> DataFrame:
     return per.select("key", F.least("total", F.lit(65536)).cast("bigint").alias("most"))
 
 
+def layouts(stats: DataFrame, op: str, operands: Sequence[str]) -> DataFrame:
+    """key, most, layout: for each block of plan_keys(), whether an operation is cheaper over 64-bit words or over values.
+
+    A block has at most 1024 words, so words are fewer rows where the operands hold more values than that.
+    """
+    used = stats.where(F.col("set_id").isin(list(operands))).groupBy("key").agg(F.sum("card").alias("total"))
+    layout = F.when(F.col("total") > 1024, "words").otherwise("values")
+    return plan_keys(stats, op, operands).join(used, "key").select("key", "most", layout.alias("layout"))
+
+
 def containers(sets: DataFrame) -> DataFrame:
     """Layout C: set_id, key, form, card, lows (ascending) of each block, at most 65,536 lows a row."""
     lows = sets.select("set_id", key().alias("key"), low().alias("low")).distinct()

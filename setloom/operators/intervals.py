@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import over_borders
+
 
 def by_block(runs: DataFrame) -> DataFrame:
     """Runs cut at multiples of 65,536: key, start, stop."""
@@ -17,15 +19,12 @@ def by_block(runs: DataFrame) -> DataFrame:
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """Maximal runs of runs that may touch or overlap: first in each block, then over block borders."""
-
-    def islands(df: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("start", "stop")
-        reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = df.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
-        return new.withColumn("run", F.sum("new").over(w)).groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
-
-    return islands(islands(by_block(runs), "key").drop("key")).select("start", "stop")
+    """Maximal runs of runs that may touch or overlap: first in each block, then those at block borders over them."""
+    w = Window.partitionBy("key").orderBy("start", "stop")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = by_block(runs).distinct().withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
+    inside = new.withColumn("run", F.sum("new").over(w)).groupBy("key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return over_borders(inside.select("start", "stop"))
 
 
 def intersect(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -50,6 +49,11 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return intersect(left, gaps.select("start", "stop"))
 
 
+def without_values(runs: DataFrame, values: DataFrame) -> DataFrame:
+    """Runs without single values (column value), which split them."""
+    return difference(runs, values.select(F.col("value").alias("start"), F.col("value").alias("stop")))
+
+
 def expand(runs: DataFrame) -> DataFrame:
     """value rows of runs."""
     return by_block(runs).select(F.explode(F.sequence("start", "stop")).alias("value")).distinct()

@@ -1,7 +1,7 @@
 """N-way intersection, union and difference by three strategies that agree.
 
-mask: one aggregate for any number of operands (one shuffle). chain: semi or anti joins, best when
-the first operand is small. sql: Spark's own set operations. No operand gives the empty set, one
+mask: one aggregate for any number of operands (one shuffle). chain: semi or anti joins from
+the smallest operand on, best when that is small. sql: Spark's own set operations. No operand gives the empty set, one
 gives itself.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compile import evaluate
 from ..plans.tree import And, Diff, Empty, Expr, Leaf, Or
+from ..sources.blobs import decode, encode
 
 _CHAIN = {"and": "left_semi", "diff": "left_anti"}
 
@@ -36,6 +37,8 @@ def combine(spark: SparkSession, op: str, sets: Sequence[DataFrame], strategy: s
     if op == "or":
         return reduce(DataFrame.union, sets).distinct()
     if strategy == "chain":
+        if op == "and":  # the smallest first, by the optimizer's estimates
+            sets = sorted(sets, key=lambda s: int(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
         return reduce(lambda a, b: a.join(b, "value", _CHAIN[op]), sets[1:], sets[0].distinct())
     if strategy == "sql":
         return reduce(DataFrame.intersect if op == "and" else DataFrame.subtract, sets[1:], sets[0].distinct())
@@ -52,3 +55,14 @@ def union(spark: SparkSession, *sets: DataFrame, strategy: str = "mask") -> Data
 
 def difference(spark: SparkSession, *sets: DataFrame, strategy: str = "mask") -> DataFrame:
     return combine(spark, "diff", sets, strategy)
+
+
+def combine_blobs(spark: SparkSession, op: str, blobs: DataFrame, operands: Sequence[str], set_id: str, standard: bool = False, strategy: str = "mask") -> DataFrame:
+    """One row (set_id, payload): and, or, diff of the sets named in blobs (set_id, payload), encoded again.
+
+    No row if the result is empty; an operand that is not there is empty. standard asks for the form
+    whose blocks can be read one by one, else the smallest is chosen.
+    """
+    sets = decode(blobs.where(F.col("set_id").isin(list(operands))))
+    parts = [sets.where(F.col("set_id") == name).select("value") for name in operands]
+    return encode(combine(spark, op, parts, strategy).select(F.lit(set_id).alias("set_id"), "value"), standard)

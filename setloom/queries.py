@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import columns
 from .operators import blocks, intervals, reads, setops, words
-from .plans.compile import block_keys, counts, evaluate
-from .plans.tree import And, Diff, Empty, Expr, Leaf, Or
-from .sources import blobs
+from .plans.bounds import tree_bounds
+from .plans.compile import block_keys, cached, counts, evaluate
+from .plans.tree import And, Diff, Expr, Leaf, Or
+from .sources import blobs, roaring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,9 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def leaf(spark: SparkSession, sf_dir: str, name: str) -> Leaf:
+def leaf(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFrame]) -> Leaf:
     source, value, condition = SETS[name]
-    return Leaf(name, table(spark, sf_dir, source), value, condition, source)
+    if source not in tables:
+        tables[source] = table(spark, sf_dir, source)
+    return Leaf(name, tables[source], value, condition)
 
 
 def members(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -71,13 +77,13 @@ def members_sql(*names: str) -> str:
 
 
 # trees are written once, as nested tuples, and read both ways
-def build(spark: SparkSession, sf_dir: str, spec) -> Expr:
-    if spec is None:
-        return Empty()
+def build(spark: SparkSession, sf_dir: str, spec, tables: dict[str, DataFrame] | None = None) -> Expr:
+    """The tree of a spec; tables holds the frames made so far, one a table."""
+    tables = {} if tables is None else tables
     if isinstance(spec, str):
-        return leaf(spark, sf_dir, spec)
+        return leaf(spark, sf_dir, spec, tables)
     op, *rest = spec
-    nodes = tuple(build(spark, sf_dir, x) for x in rest)
+    nodes = tuple(build(spark, sf_dir, x, tables) for x in rest)
     if op == "diff":
         return Diff(*nodes)
     return (And if op == "and" else Or)(nodes)
@@ -90,7 +96,6 @@ def tree_sql(spec) -> str:
     return "SELECT value FROM (" + word.join(f"(SELECT value FROM ({tree_sql(x)}))" for x in spec[1:]) + ")"
 
 
-
 _EIGHT = ("high", "done", "returned", "accepted", "bulk", "discounted", "low_priority", "urgent")
 TREES = {
     "tree_filter": ("and", "high", ("or", "done", "partial"), ("diff", "orders", "low_priority")),
@@ -163,7 +168,8 @@ _HUNDRED = [("orders", "o_orderkey", f"o_orderkey % 100 = {k} and o_totalprice >
 
 @query("tree_100_leaves", " UNION ".join(f"SELECT CAST({v} AS BIGINT) AS value FROM {t} WHERE {c}" for t, v, c in _HUNDRED))
 def _hundred(spark, sf):
-    return evaluate(spark, Or(tuple(Leaf(f"h{k}", table(spark, sf, t), v, c, t) for k, (t, v, c) in enumerate(_HUNDRED))))
+    orders = table(spark, sf, "orders")
+    return evaluate(spark, Or(tuple(Leaf(f"h{k}", orders, v, c) for k, (_, v, c) in enumerate(_HUNDRED))))
 
 
 _POOL = {**TREES, "or_all": ("or", *_EIGHT), "and_all": ("and", *_EIGHT)}
@@ -172,7 +178,8 @@ _POOL = {**TREES, "or_all": ("or", *_EIGHT), "and_all": ("and", *_EIGHT)}
 @query("corpus_counts", " UNION ALL ".join(f"SELECT '{n}' AS tree, count(*) AS n FROM ({tree_sql(s)})" for n, s in _POOL.items()))
 def _corpus(spark, sf):
     """Cardinalities of many trees from one histogram of masks."""
-    return counts(spark, {n: build(spark, sf, s) for n, s in _POOL.items()})
+    tables: dict[str, DataFrame] = {}
+    return counts(spark, {n: build(spark, sf, s, tables) for n, s in _POOL.items()})
 
 
 _READ = ("high", "very_high", "done", "scattered", "bitmaps", "runs")
@@ -288,3 +295,92 @@ def _roundtrip(spark, sf):
 @query("blob_validity", f"SELECT set_id, true AS is_valid, count(*) AS n FROM ({members_sql(*_FORMS)}) GROUP BY set_id")
 def _validity(spark, sf):
     return blobs.validity(blobs.encode(members(spark, sf, *_FORMS)))
+
+
+@query("roundtrip_roaring", members_sql(*_FORMS))
+def _roaring(spark, sf):
+    return blobs.decode(blobs.encode(members(spark, sf, *_FORMS), write=roaring.assemble), read=roaring.decode)
+
+
+@query("blob_hostile", "SELECT * FROM (VALUES ('cut', false), ('flipped', false), ('zeros', false), ('empty', false), ('whole', true), ('tail', true)) t(name, is_valid)")
+def _hostile(spark, sf):
+    sound = blobs.encode(members(spark, sf, "bitmaps"), standard=True)
+    changes = {"cut": "substring(payload, 1, length(payload) - 9)", "flipped": "concat(X'00', substring(payload, 2))", "zeros": "X'0000000000000000'", "empty": "X''", "whole": "payload", "tail": "concat(payload, X'0102')"}
+    each = F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in changes]), F.array(*[F.expr(e) for e in changes.values()])))
+    return blobs.validity(sound.select(each.alias("set_id", "payload"))).select(F.col("set_id").alias("name"), "is_valid")
+
+
+for _op in ("and", "or", "diff"):
+    QUERIES[f"{_op}_compact"] = lambda spark, sf, op=_op: blobs.decode(setops.combine_blobs(spark, op, blobs.encode(members(spark, sf, *_OPS)), _OPS, "result")).select("value")
+    ORACLES[f"{_op}_compact"] = tree_sql((_op, *_OPS))
+
+for _keep in (True, False):
+    QUERIES["filter_by_words" if _keep else "drop_by_words"] = lambda spark, sf, keep=_keep: words.filter_values(members(spark, sf, "arrays").select("value"), words.to_words(members(spark, sf, "bitmaps")), keep)
+    ORACLES["filter_by_words" if _keep else "drop_by_words"] = tree_sql(("and" if _keep else "diff", "arrays", "bitmaps"))
+
+
+def _run_words(spark, sf):
+    return words.runs_to_words(blocks.runs(members(spark, sf, "runs")))
+
+
+QUERIES["words_from_runs"] = lambda spark, sf: words.to_values(_run_words(spark, sf))
+ORACLES["words_from_runs"] = leaf_sql("runs")
+QUERIES["words_set_runs"] = lambda spark, sf: words.to_values(words.set_words(words.to_words(members(spark, sf, "bitmaps")), _run_words(spark, sf)))
+ORACLES["words_set_runs"] = tree_sql(("or", "bitmaps", "runs"))
+QUERIES["words_clear_runs"] = lambda spark, sf: words.to_values(words.clear_words(words.to_words(members(spark, sf, "bitmaps")), _run_words(spark, sf)))
+ORACLES["words_clear_runs"] = tree_sql(("diff", "bitmaps", "runs"))
+QUERIES["run_minus_values"] = lambda spark, sf: intervals.without_values(blocks.runs(members(spark, sf, "runs")), members(spark, sf, "bitmaps").select("value"))
+ORACLES["run_minus_values"] = ORACLES["run_difference"].replace(tree_sql(("diff", "runs", "other_runs")), tree_sql(("diff", "runs", "bitmaps")))
+
+_BOUNDED = ("diff", ("and", "arrays", ("or", "arrays_bulk", "bitmaps")), "runs")
+
+
+@query("tree_bounds", f"WITH c AS (SELECT CAST(key AS INTEGER) AS key, max(CASE WHEN set_id = 'arrays' THEN card ELSE 0 END) AS a, sum(CASE WHEN set_id <> 'arrays' THEN card ELSE 0 END) AS b FROM ({_OP_STATS}) GROUP BY key) SELECT key, CAST(least(a, b, 65536) AS BIGINT) AS most, CASE WHEN least(a, b, 65536) > 4096 THEN 'words' ELSE 'values' END AS layout FROM c WHERE a > 0 AND b > 0")
+def _bounds(spark, sf):
+    return tree_bounds(spark, build(spark, sf, _BOUNDED))
+
+
+@query("plan_layouts", f"SELECT CAST(key AS INTEGER) AS key, CAST(least(sum(card), 65536) AS BIGINT) AS most, CASE WHEN sum(card) > 1024 THEN 'words' ELSE 'values' END AS layout FROM ({_OP_STATS}) GROUP BY key")
+def _layouts(spark, sf):
+    return blocks.layouts(blocks.block_stats(members(spark, sf, *_OPS)), "or", _OPS)
+
+
+@query("tree_cached_leaf", tree_sql(("diff", ("or", "returned", "bulk"), "high")))
+def _cached(spark, sf):
+    tables: dict[str, DataFrame] = {}
+    shared = cached(build(spark, sf, "high", tables))
+    return evaluate(spark, Or((Diff(build(spark, sf, "returned", tables), shared), Diff(build(spark, sf, "bulk", tables), shared))))
+
+
+@query("push_ordered", members_sql("high", "done"))
+def _push(spark, sf):
+    return columns.ascending(members(spark, sf, "high", "done").withColumn("seq", F.col("value") * 2))
+
+
+@query("extend_sorted", members_sql("orders"))
+def _extend(spark, sf):
+    rows = members(spark, sf, "orders")
+    return columns.extended(rows.where("value < 500"), rows.where("value >= 500"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share, or a temporary one of a local session."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.gettempdir()
+    return f"{top.rstrip('/')}/sets-{uuid.uuid4().hex}"
+
+
+@query("files_roundtrip", members_sql(*_FORMS))
+def _files(spark, sf):
+    path = _folder(spark)
+    blobs.write_files(blobs.encode(members(spark, sf, *_FORMS)), path)
+    return blobs.decode(blobs.read_files(spark, path))
+
+
+@query("packed_roundtrip", members_sql(*_FORMS))
+def _packed(spark, sf):
+    path = _folder(spark)
+    return blobs.decode(blobs.read_packed(path, blobs.write_packed(blobs.encode(members(spark, sf, *_FORMS)), path, files=3)))

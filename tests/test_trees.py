@@ -7,7 +7,7 @@ import pytest
 from setloom.functions.columns import ascending, values
 from setloom.operators import intervals, setops
 from setloom.plans.compile import counts, evaluate
-from setloom.plans.tree import And, Diff, Empty, Leaf, Or, leaves, simplify
+from setloom.plans.tree import And, Diff, Empty, Leaf, Or, depth, leaves, simplify
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,31 @@ def test_degenerate_and_flat(spark, pool):
         assert rows["mask"] == rows["chain"] == rows["sql"] == sorted(want)
 
 
+def test_leaf_identity(spark):
+    """Leaves of different frames are different, whatever their names; conditions on one frame are one scan."""
+    a, b = (spark.createDataFrame([(x,) for x in v], "value bigint") for v in ([1, 2], [2, 3]))
+    got = lambda t: sorted(r.value for r in evaluate(spark, t).collect())
+    assert got(Or((Leaf("s", a), Leaf("s", b)))) == [1, 2, 3]
+    assert got(Diff(Leaf("s", a), Leaf("s", b))) == [1]
+    held = [Leaf("s", x, "value", "value > 0") for x in (a, b)]
+    assert got(Or(tuple(held))) == [1, 2, 3] and got(And(tuple(held))) == [2]
+    assert got(And((Leaf("x", a, "value", "value < 2"), Leaf("y", a, "value", "value > 0")))) == [1]
+    assert simplify(And((Leaf("x", a), Leaf("y", a)))) == Leaf("x", a)
+    with pytest.raises(Exception, match="unsigned"):
+        got(Leaf("s", spark.createDataFrame([(-1,)], "value bigint")))
+
+
+def test_deep_trees(spark, pool):
+    """Chains of any depth are rewritten, counted and evaluated without recursion."""
+    chain, held = pool[0][1], set(pool[0][0])
+    for k in range(10_000):
+        s, leaf = pool[1 + k % 5]
+        chain, held = (Or((leaf, chain)), held | s) if k % 3 == 0 else (Diff(chain, leaf), held - s) if k % 3 == 1 else (Diff(Or((pool[0][1], leaf)), chain), (pool[0][0] | s) - held)
+    assert depth(simplify(chain)) > 1000
+    assert sorted(r.value for r in evaluate(spark, chain).collect()) == sorted(held)
+    assert [r.n for r in counts(spark, {"deep": chain}).collect()] == [len(held)]
+
+
 def test_one_exchange(spark, pool):
     tree = And((Or((pool[0][1], pool[1][1])), Diff(pool[2][1], pool[3][1])))
     plan = evaluate(spark, tree)._jdf.queryExecution().executedPlan().toString()
