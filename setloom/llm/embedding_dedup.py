@@ -23,8 +23,11 @@ from .graph import components
 
 #: Vectors that the codebooks and the stopping bound are fitted on, at most.
 SAMPLE = 20_000
-#: Mean number of vectors a cell is planned for, and the largest codebook.
-CELL_ROWS, MOST_CODES = 500, 128
+#: Mean number of vectors a cell is planned for, and the largest codebook, as ten sampled vectors a
+#: code are the least to fit it on: the grid grows with the table up to MOST_CODES ** 2 * CELL_ROWS vectors.
+CELL_ROWS, MOST_CODES = 500, SAMPLE // 10
+#: Cells whose block counts are broadcast at most, under 40 bytes each; more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
 #: Members and visitors of a cell that one group compares at most (about).
 MEMBERS, VISITORS = 2000, 4000
 
@@ -53,15 +56,40 @@ class MultiIndex:
             out.append(bound * bound)
         return own[0] * len(self.codes[1]) + own[1], out[0], out[1]
 
-    def visits(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
-        """Own cell and all cells to visit of each row, by growing bound of the first half, then of the second."""
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own cell of each row, its number of cells to visit, and those cells, nearest first, of all rows.
+
+        The two halves' bounds are sorted and merged by a multi-sequence traversal: a cell of the i-th
+        and the j-th smallest bound follows only what has a smaller place in one list. All rows advance
+        together, a cell a step, until the sum of their bounds is beyond the stop.
+        """
         own, first, second = self.bounds(x)
-        cells = []
-        for a, b in zip(first, second, strict=True):
-            oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-            ends = np.searchsorted(b[ob], self.stop - a[oa], side="right")
-            cells.append([int(i) * len(b) + int(j) for i, n in zip(oa, ends, strict=True) if n for j in ob[:n]])
-        return own, cells
+        rows, n = first.shape[0], second.shape[1]
+        by_first, by_second = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
+        a, b = np.take_along_axis(first, by_first, 1), np.take_along_axis(second, by_second, 1)
+        a = np.c_[a, np.full(rows, np.inf)]
+        # front[r, j]: how many cells with the j-th smallest bound of the second half were visited; the
+        # next of each column is the only candidate there, and only the first unvisited column can open
+        front = np.zeros((rows, 1), dtype=np.int64)
+        live, visited_row, visited_cell = np.arange(rows), [], []
+        while len(live):
+            width = front.shape[1]
+            sums = np.take_along_axis(a[live], front[live], 1) + b[live][:, :width]
+            j = sums.argmin(1)
+            fine = sums[np.arange(len(live)), j] <= self.stop
+            live, j = live[fine], j[fine]
+            if not len(live):
+                break
+            i = front[live, j]
+            visited_row.append(live)
+            visited_cell.append(by_first[live, i] * n + by_second[live, j])
+            front[live, j] += 1
+            if width < n and (front[live, width - 1] > 0).any():
+                front = np.c_[front, np.zeros(rows, dtype=np.int64)]
+        row = np.concatenate(visited_row) if visited_row else np.empty(0, dtype=np.int64)
+        cell = np.concatenate(visited_cell) if visited_cell else np.empty(0, dtype=np.int64)
+        order = np.argsort(row, kind="stable")
+        return own, np.bincount(row, minlength=rows), cell[order]
 
 
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -98,10 +126,22 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, seed: int =
     return index
 
 
-def _unit(rows: list, width: int) -> np.ndarray:
-    x = np.zeros((len(rows), max(2, width)))
-    for k, row in enumerate(rows):
-        x[k, : len(row)] = row
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column, without a Python object a value."""
+    import pyarrow as pa
+
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks) if array.num_chunks else pa.array([], column.type)
+    return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(array.offsets.to_numpy())
+
+
+def _unit(lists: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """Unit vectors of the values and lengths of rows, zeros behind the shorter ones."""
+    values, lengths = lists
+    x = np.zeros((len(lengths), max(2, width)))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    x[row, np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
     x /= np.abs(x).max(1, keepdims=True)  # no overflow of squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -128,12 +168,9 @@ def compare(index: MultiIndex, width: int, cosine: float, table):
     """Links between visitors and members of one block: (a, b, n), counts with b null and forest links with n 0."""
     import pyarrow as pa
 
-    ids = np.array(table["id"], dtype=np.int64)
-    copies = np.array(table["copies"], dtype=np.int64)
-    member = np.array(table["member"], dtype=bool)
-    rows = table["vector"].to_pylist()
-    lengths = np.array([len(r) for r in rows])
-    x = _unit(rows, width)
+    ids, copies, member = (table[c].to_numpy() for c in ("id", "copies", "member"))
+    lists = _lists(table["vector"])
+    lengths, x = lists[1], _unit(lists, width)
     m, v = np.flatnonzero(member), np.flatnonzero(~member)
     nodes, node = np.unique(ids, return_inverse=True)
     counts, labels = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
@@ -148,6 +185,8 @@ def compare(index: MultiIndex, width: int, cosine: float, table):
             a, b = a[fine], b[fine]
             np.add.at(counts, node[a], copies[b])
             # a member that does not itself visit the visitor's cell learns of the link here
+            if not len(a):
+                continue
             blind = first[b, home[a] // n2] + second[b, home[a] % n2] > index.stop
             np.add.at(counts, node[b[blind]], copies[a[blind]])
             labels = _join(labels, node[a], node[b])
@@ -180,7 +219,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999)
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = int(size["width"])
     sample = [r["embedding"] for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()]
-    index = fit(_unit(sample, width), size["n"], cosine, recall)
+    lengths = np.array([len(v) for v in sample])
+    index = fit(_unit((np.array([x for v in sample for x in v], dtype=np.float64), lengths), width), size["n"], cosine, recall)
 
     def assign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -188,16 +228,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.999)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                x = _unit(part.column(2).to_pylist(), width)
-                own, cells = index.visits(x)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["id", "copies", "vector", "home", "cells"])
+                own, n, cells = index.visits(_unit(_lists(part.column(2)), width))
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(cells, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.int64()), cells], ["id", "copies", "vector", "home", "cells"])
 
     kind = dict(nodes.dtypes)["embedding"]
     placed = stored(nodes.select("id", "copies", F.col("embedding").alias("vector")).mapInArrow(assign, f"id long, copies long, vector {kind}, home long, cells array<long>"), "placed")
-    # at most MOST_CODES ** 2 cells
     members = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).alias("m_blocks"))
     visitors = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("v_blocks"))
-    blocks = F.broadcast(members.join(visitors, "cell"))
+    blocks = members.join(visitors, "cell")
+    if len(index.codes[0]) * len(index.codes[1]) <= BROADCAST_CELLS:
+        blocks = F.broadcast(blocks)
     deal = F.xxhash64("id")
     as_member = placed.select("id", "copies", "vector", F.col("home").alias("cell")).join(blocks, "cell").select("cell", F.pmod(deal, "m_blocks").alias("m"), F.explode(F.expr("sequence(0L, v_blocks - 1)")).alias("v"), F.lit(True).alias("member"), "id", "copies", "vector")
     as_visitor = placed.select("id", "copies", "vector", F.explode("cells").alias("cell")).join(blocks, "cell").select("cell", F.explode(F.expr("sequence(0L, m_blocks - 1)")).alias("m"), F.pmod(deal, "v_blocks").alias("v"), F.lit(False).alias("member"), "id", "copies", "vector")

@@ -14,11 +14,13 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows learned from, at most, and landmarks among them, by language.
 SAMPLE_ROWS, LANDMARKS = 400, 48
+#: Languages learned, those of most labelled rows, and rows learned from in all, at most.
+MOST_LANGUAGES, MOST_ROWS = 500, 20_000
 RIDGE = 1e-3
 #: N-grams are told apart by a hash of this many bits.
 HASH_BITS = 18
@@ -43,22 +45,24 @@ def letters() -> np.ndarray:
 
 def gram_codes(text: str) -> np.ndarray:
     """Hashes of all n-grams of the text's letters, with repeats; empty if it has no letter."""
-    found, table = [], letters()
+    found, table, some = [], letters(), False
     shift = np.uint32(32 - HASH_BITS)
-    for at in range(0, len(text), MOST_LETTERS):
-        codes = table[np.frombuffer(text[at : at + MOST_LETTERS + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    codes = np.empty(0, dtype=np.uint32)
+    for at in range(0, len(text), MOST_LETTERS):  # the last two letters before a piece go with it, one space between words counted once
+        piece = table[np.frombuffer(text[at : at + MOST_LETTERS].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        codes = np.concatenate([codes[-2:], piece])
         spaced = codes == 32
-        if not spaced.all():
-            codes = codes[~(spaced & np.r_[False, spaced[:-1]])]  # one space between words
-            one = codes * _FACTORS[0]
-            found.append(one >> shift)
-            if len(codes) > 1:
-                two = one[:-1] ^ (codes[1:] * _FACTORS[1] + np.uint32(1))
-                found.append((two * _FACTORS[2]) >> shift)
-            if len(codes) > 2:
-                three = two[:-1] * _FACTORS[1] ^ (codes[2:] * _FACTORS[2] + np.uint32(3))
-                found.append((three * _FACTORS[0]) >> shift)
-    return np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
+        some = some or not spaced.all()
+        codes = codes[~(spaced & np.r_[False, spaced[:-1]])]
+        one = codes * _FACTORS[0]
+        found.append(one >> shift)
+        if len(codes) > 1:
+            two = one[:-1] ^ (codes[1:] * _FACTORS[1] + np.uint32(1))
+            found.append((two * _FACTORS[2]) >> shift)
+        if len(codes) > 2:
+            three = two[:-1] * _FACTORS[1] ^ (codes[2:] * _FACTORS[2] + np.uint32(3))
+            found.append((three * _FACTORS[0]) >> shift)
+    return np.concatenate(found) if some else np.empty(0, dtype=np.uint32)
 
 
 @dataclass
@@ -135,19 +139,19 @@ def _held_out():
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> KernelModel:
-    """Fit on at most sample_rows labelled rows a language, drawn by a hash of doc_id from those not held out."""
+    """Fit on at most sample_rows labelled rows a language, drawn by a hash of doc_id from those not held out, and at most MOST_ROWS in all."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~_held_out())
-    counts = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    each = counts.withColumn("most", F.least(F.lit(sample_rows), F.lit(MOST_ROWS) / F.count("*").over(Window.partitionBy())))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    keep = F.lit(False)
-    for name, n in sorted(counts.items()):
-        keep = F.when(F.col("lang") == name, drawn < int(min(1.0, 1.5 * sample_rows / n + 20 / n) * (1 << 20))).otherwise(keep)
-    rows = sorted((r["drawn"], r["doc_id"], r["text"], r["lang"]) for r in chosen.where(keep).select(drawn.alias("drawn"), "doc_id", "text", "lang").collect()) if counts else []
+    near = F.col("drawn") < F.least(F.lit(1.0), F.col("most") * 1.5 / F.col("n") + F.lit(20.0) / F.col("n")) * (1 << 20)
+    picked = chosen.withColumn("drawn", drawn).join(F.broadcast(each.withColumnRenamed("lang", "known")), F.col("lang") == F.col("known")).where(near)
+    rows = sorted((r["drawn"], r["doc_id"], r["text"], r["lang"], int(r["most"])) for r in picked.select("drawn", "doc_id", "text", "lang", "most").collect())
     taken: dict[str, int] = {}
     sample = []
-    for _, _, text, name in rows:
+    for _, _, text, name, most in rows:
         taken[name] = taken.get(name, 0) + 1
-        if taken[name] <= sample_rows:
+        if taken[name] <= most:
             sample.append((text, name))
     return fit(sample)
 
@@ -185,7 +189,11 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, least_score: float = LEAST_SCORE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents whose language is known: not und, and scored least_score or more; their lang stays as it is."""
+    """The documents whose language is known: not und, and scored least_score or more; their lang stays as it is.
+
+    Null, empty and letterless texts are und and go. Rows without lang or doc_id are judged like all
+    others. Repeated rows are judged alike; an empty table gives no row, one without labelled rows none either.
+    """
     model = learn(docs, sample_rows)
     slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
     return _scored(slim, model, slim.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*slim.columns)

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Documents get hash-random keys; (source, key bucket) sums give distributed prefix sums, so only the
-rows of the one bucket in which a source's budget ends are ordered exactly. The cut is then a small
+rows of the one bucket in which a source's budget ends are split into finer buckets, and only the
+rows of one of those are ordered exactly. The cut is then a small
 (source) table that every document compares its key with: no text is shuffled.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Leading hexadecimal digits of the key that make its bucket: 4096 buckets a source.
+#: Leading hexadecimal digits of the key that make its bucket: 4096 buckets a source, and as many again in the one where its budget ends.
 BUCKET_DIGITS = 3
 
 
@@ -56,13 +57,21 @@ def cuts(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> D
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     goal = goal.withColumn("budget", F.floor("target").cast("long")).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0).cast("long"))
     goal = stored(goal.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")), "goals")
-    ends = (
-        sums.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(goal.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-        .where("before <= rest and rest < before + words")
-        .select("s", F.col("bucket").alias("end_bucket"), "before", "rest")
-    )
-    rows = sized.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.substring("key", 1, BUCKET_DIGITS) == F.col("end_bucket"))).groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    budgets = goal.select(F.col("source").alias("s"), "rest")
+
+    def ending(sums: DataFrame) -> DataFrame:
+        """The bucket of each source in which its last pass ends, from bucket sums (source, bucket, words, base: the words before them all)."""
+        earlier = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = sums.withColumn("before", F.col("base") + earlier).join(budgets, F.col("source").eqNullSafe(F.col("s")))
+        return placed.where("before <= rest and rest < before + words").select("s", F.col("bucket").alias("end_bucket"), "before", "rest")
+
+    def inside(ends: DataFrame, digits: int) -> DataFrame:
+        return sized.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.substring("key", 1, digits) == F.col("end_bucket")))
+
+    ends = stored(ending(sums.withColumn("base", F.lit(0).cast("long"))), "ends")
+    finer = inside(ends, BUCKET_DIGITS).groupBy("source", F.substring("key", 1, 2 * BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("words"), F.first("before").alias("base"))
+    ends = ending(finer)
+    rows = inside(ends, 2 * BUCKET_DIGITS).groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     earlier = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (
         rows.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(earlier), F.lit(0)))
@@ -101,7 +110,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
     """The mix itself, with the columns of documents: one row for each time a document is taken.
 
     The document at which a source's budget ends is there up to its last word that the mix takes;
-    documents of which it takes nothing are absent.
+    documents of which it takes nothing are absent, those without words too. Nulls, repeated rows and
+    empty tables are as in mix(); rows keep their doc_id, lang and source.
     """
     ends = cuts(docs, weights, cap)
     taken = _with_cuts(docs, ends, "text", "lang").where("taken > 0")
