@@ -38,7 +38,7 @@ def combine(spark: SparkSession, op: str, sets: Sequence[DataFrame], strategy: s
         return reduce(DataFrame.union, sets).distinct()
     if strategy == "chain":
         if op == "and":  # the smallest first, by the optimizer's estimates
-            sets = sorted(sets, key=lambda s: int(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+            sets = sorted(sets, key=lambda s: int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
         return reduce(lambda a, b: a.join(b, "value", _CHAIN[op]), sets[1:], sets[0].distinct())
     if strategy == "sql":
         return reduce(DataFrame.intersect if op == "and" else DataFrame.subtract, sets[1:], sets[0].distinct())
