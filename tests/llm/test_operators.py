@@ -360,44 +360,3 @@ def test_pipeline_edges(spark, edge):
     for _, stage in corpus_pipeline.STAGES:
         taken = stage(spark, taken, SF)
     assert taken.count() > 0
-
-
-def test_edit_distances():
-    """Pairs compared together and one at a time against the textbook recurrence."""
-    rng = random.Random(12)
-
-    def plain(x, y):
-        row = list(range(len(y) + 1))
-        for i, a in enumerate(x, 1):
-            last, row[0] = row[0], i
-            for j, b in enumerate(y, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-        return row[-1]
-
-    left, right = [], []
-    for _ in range(800):
-        x = [rng.randrange(1, 40) for _ in range(rng.randint(5, 60))]
-        y = list(x)
-        for _ in range(rng.randint(0, 14)):
-            at = rng.randrange(len(y))
-            y[at : at + 1] = [[rng.randrange(1, 40)], [1] * (len(y) == 1), [y[at], rng.randrange(1, 40)]][rng.randrange(3)]
-        left.append(np.array(x, np.uint64))
-        right.append(np.array(y, np.uint64))
-    true = [plain(x.tolist(), y.tolist()) for x, y in zip(left, right, strict=True)]
-    assert line_dedup.alike(left, right).tolist() == [d <= max(len(x), len(y)) // 5 for d, x, y in zip(true, left, right, strict=True)]
-    assert [line_dedup.distance(x, y) for x, y in zip(left, right, strict=True)] == true
-    long = np.arange(1, 5001, dtype=np.uint64)
-    edited = long.copy()
-    edited[::6] = 7
-    assert line_dedup.alike([long, long], [edited, long[::-1].copy()]).tolist() == [True, False]
-
-
-def test_words_of_lines():
-    """Parsing in pieces against the plain definition of words, for every script."""
-    text = "Été à l'école—Straße 7\n\n  \n日本語のテキスト and Ελληνικά\n\tx" + "y" * 50 + "\nภาษาไทย end"
-    words, letters, first, n = line_dedup.parsed(text)
-    assert n.tolist() == [6, 0, 0, 10, 1, 8] and first.tolist() == [0, 6, 6, 6, 16, 17]
-    assert letters[:6].tolist() == [3, 1, 1, 5, 6, 1] and letters[16] == 51
-    again, _, _, _ = line_dedup.parsed(text.upper())
-    assert (words[6:16] == again[6:16]).all() and words[0] == again[0]
-    assert line_dedup.parsed("")[0].size == 0
