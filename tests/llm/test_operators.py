@@ -298,6 +298,43 @@ def test_lines_of_one_crowded_key(spark, monkeypatch):
     assert dropped_lines(spark, rows) == want
 
 
+def test_lines_that_share_two_crowded_keys_only(spark, monkeypatch):
+    """Lines alike whose common keys are all crowded count, however few these keys are."""
+    rng = random.Random(5)
+    kinds = [[f"k{rng.randrange(10**6)}" for _ in range(n)] for n in (6, 6, 10, 10, 13)]
+    rows = []
+    for k in range(240):
+        line = list(kinds[k % 5])
+        for at in rng.sample(range(len(line)), len(line) // 5 + rng.randint(0, 2)):
+            line[at] = f"w{rng.randrange(40)}"
+        rows.append((k, " ".join(line)))
+    monkeypatch.setattr(line_dedup, "CROWDED", 4)
+    assert dropped_lines(spark, rows) == brute_lines(rows)
+
+
+def test_no_key_that_is_needed_is_left_out(spark):
+    """Lines of up to WORDS words, some put in and left out as well: two common keys, or one of lines of five words."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9)))
+    texts = []
+    for n in range(5, line_dedup.WORDS + 1):
+        for _ in range(60):
+            x = [word() for _ in range(n)]
+            y = list(x)
+            for _ in range(n // 5):
+                at = rng.randrange(len(y))
+                y[at : at + 1] = [[word()], [], [y[at], word()]][rng.randrange(3)]
+            if 5 <= len(y) <= line_dedup.WORDS:
+                texts.append((" ".join(x) + "\n" + " ".join(y), min(len(x), len(y))))
+    keys = {}
+    for r in line_dedup._lines(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")).collect():
+        keys.setdefault(r.d, []).append({b >> line_dedup.SIZE_BITS for b in r.buckets})
+    for k, (text, n) in enumerate(texts):
+        x, y = (line.split() for line in text.split("\n"))
+        if brute_lines([(1, text)]):
+            assert len(keys[k][0] & keys[k][1]) >= 1 + (n > 5), (x, y)
+
+
 def test_lines_without_spaces(spark):
     line = "我们今天在这里讨论数据清理的方法和结果"
     rows = [(1, line), (2, line + "。"), (3, line[:9] + "新" + line[10:]), (4, "短句\n短句"), (5, "ภาษาไทยไม่มีช่องว่าง\nภาษาไทยไม่มีช่องว่าง")]
