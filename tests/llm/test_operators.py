@@ -312,6 +312,29 @@ def test_lines_that_share_two_crowded_keys_only(spark, monkeypatch):
     assert dropped_lines(spark, rows) == brute_lines(rows)
 
 
+def test_lines_with_crowded_keys_are_not_all_compared(spark, monkeypatch):
+    """Lines that share one crowded key and common words, but no two keys, are no pairs; those alike among them are found."""
+    rng = random.Random(3)
+    words = [f"w{k:03}" for k in range(200)]
+    lines = [["crowdedone", "crowdedtwo", *rng.sample(words, 10)] for _ in range(300)]
+    for line in lines[:30]:
+        lines.append(line[:])
+        lines[-1][rng.randrange(12)] = "w999"
+    rows = [(k, " ".join(line)) for k, line in enumerate(lines)]
+    made, keep = {}, line_dedup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    want = brute_lines(rows)
+    assert len(want) >= 30
+    assert dropped_lines(spark, rows) == want
+    assert made["pairs"] < 10 * len(rows), made
+
+
 def test_no_key_that_is_needed_is_left_out(spark):
     """Lines of up to WORDS words, some put in and left out as well: two common keys, or one of lines of five words."""
     rng = random.Random(12)
