@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -212,6 +213,31 @@ def test_recall_of_line_keys(spark):
         assert all(found) if n <= line_dedup.WORDS else sum(found) >= 0.97 * len(found), (n, spread, sum(found))
 
 
+def test_shared_keys_of_lines_that_cannot_be_alike(spark):
+    """They go before any pair is made; of lines that are alike, by edits of any kind, no sketch tells that they are not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = " ".join(c * 9 for c in "xyz")
+    by_chance = spark.createDataFrame([(k, f"{common} {' '.join(word() for _ in range(9))}") for k in range(line_dedup.CROWDED - 10)], "doc_id long, text string")
+    lines = line_dedup._lines(by_chance)
+    firsts = lines.select("key", F.struct("d", "pos", "h").alias("first"), F.lit(1).cast("long").alias("n"))
+    assert lines.select(F.explode("buckets").alias("b")).groupBy(F.shiftright("b", line_dedup.SIZE_BITS)).count().where("count > 30").count() >= 2
+    assert line_dedup._shared(lines, firsts).count() == 0
+    texts = []
+    for n in [*range(5, 24), 40, 55, 60, 63, 64, 65, 66, 70, 78, 130] * 12:
+        x = [word() for _ in range(n)]
+        y = list(x)
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(y)), rng.randrange(3)
+            y[at : at + (kind < 2)] = [word()] if kind else []
+        texts.append("\n".join(rng.sample([" ".join(x), " ".join(y)], 2)))
+    sides = line_dedup._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("d", "pos", "size", "sketch")
+    pairs = sides.where("pos = 0").join(sides.where("pos = 1").select("d", F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch")), "d")
+    alike = "5 * abs(size - b_size) <= greatest(size, b_size)"  # else the edits are too many for the larger size
+    assert pairs.where(alike).count() > 250
+    assert pairs.where(f"{alike} and not {line_dedup._may_be_alike('size', 'b_size', 'sketch', 'b_sketch')}").count() == 0
+
+
 def test_token_ids_of_long_white_space(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [" " * 2_000_000, "\n" * 1_200_000 + "x", "word " + " " * 1_000_001 + "word"]
