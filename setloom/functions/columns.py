@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOP = (1 << 32) - 1
+#: Bytes of input files for each partition that spread() makes at least.
+PART_BYTES = 32 << 20
 
 
 def key(value: str = "value") -> Column:
@@ -32,6 +34,18 @@ def inside(value: str) -> str:
     return f"CASE WHEN {v} BETWEEN 0 AND {TOP} THEN {v} WHEN {v} IS NOT NULL THEN cast(raise_error(concat('not an unsigned 32-bit id: ', cast({v} as string))) as bigint) END"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by the columns named to as many partitions as the session has for shuffles, more if its input files are large.
+
+    Shuffled ids take a byte or two each, a hundred once they are in a hash table. Partitions that Spark
+    coalesces by their bytes in the shuffle so hold tens of millions; these are not coalesced.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 50)  # that of other tables than files is a very large number
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // PART_BYTES), *by)
+
+
 def values(df: DataFrame, column: str = "value", strict: bool = True) -> DataFrame:
     """df as a set: one BIGINT column value, distinct, null dropped; out-of-domain ids raise, or are dropped."""
     v = F.col(column).cast("bigint")
@@ -43,13 +57,23 @@ def values(df: DataFrame, column: str = "value", strict: bool = True) -> DataFra
 
 
 def ascending(df: DataFrame, set_id: str = "set_id", value: str = "value", order: str = "seq") -> DataFrame:
-    """(set_id, value) of rows pushed in the order given; raises where a value is not above the one before it."""
+    """(set_id, value) of rows pushed in the order given; raises where a value is not above the one before it.
+
+    Values ascend if they do within each block of 65,536 values and every block is pushed after those before it,
+    so no task orders more than a block of a set. Values pushed at one place may come in any order.
+    """
     from pyspark.sql import Window
 
-    before = F.lag(value).over(Window.partitionBy(set_id).orderBy(order))
+    refused = F.raise_error(F.lit("values must be strictly ascending")).cast("bigint")
+    rows = spread(df.select(set_id, value, F.col(order).alias("_order"), F.shiftright(F.col(value).cast("bigint"), 16).alias("_block")), set_id, "_block")
+    before = F.lag(value).over(Window.partitionBy(set_id, "_block").orderBy("_order", value))
     ok = before.isNull() | (F.col(value) > before)
-    checked = F.when(ok, F.col(value)).otherwise(F.raise_error(F.lit("values must be strictly ascending")).cast("bigint"))
-    return df.select(set_id, checked.alias(value))
+    checked = rows.select(set_id, F.when(ok, F.col(value)).otherwise(refused).alias(value))
+    # nulls are the first of both, in structs too
+    blocks = rows.groupBy(set_id, "_block").agg(F.min(F.struct("_order")).alias("first"), F.max(F.struct("_order")).alias("last"))
+    done = F.lag("last").over(Window.partitionBy(set_id).orderBy("_block"))
+    late = blocks.withColumn("done", done).where("done > first")
+    return checked.union(late.select(set_id, refused.alias(value)))
 
 
 def extended(sets: DataFrame, more: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import spread
 from ..plans.compile import evaluate
 from ..plans.tree import And, Diff, Empty, Expr, Leaf, Or
 from ..sources.blobs import decode, encode
@@ -35,7 +36,7 @@ def combine(spark: SparkSession, op: str, sets: Sequence[DataFrame], strategy: s
     if strategy == "mask":
         return evaluate(spark, _tree(op, sets))
     if op == "or":
-        return reduce(DataFrame.union, sets).distinct()
+        return spread(reduce(DataFrame.union, sets), "value").distinct()
     if strategy == "chain":
         if op == "and":  # the smallest first, by the optimizer's estimates
             sets = sorted(sets, key=lambda s: int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
@@ -63,6 +64,7 @@ def combine_blobs(spark: SparkSession, op: str, blobs: DataFrame, operands: Sequ
     No row if the result is empty; an operand that is not there is empty. standard asks for the form
     whose blocks can be read one by one, else the smallest is chosen.
     """
-    sets = decode(blobs.where(F.col("set_id").isin(list(operands))))
+    # a set is decoded by one task, which is not to hold its values
+    sets = spread(decode(blobs.where(F.col("set_id").isin(list(operands)))), "value")
     parts = [sets.where(F.col("set_id") == name).select("value") for name in operands]
     return encode(combine(spark, op, parts, strategy).select(F.lit(set_id).alias("set_id"), "value"), standard)

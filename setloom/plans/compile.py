@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import inside
+from ..functions.columns import inside, spread
 from .tree import And, Diff, Empty, Expr, Leaf, Or, depth, fold, gathered, leaves, program, simplify
 
 WORD = 62  # leaves in one mask column
@@ -103,7 +103,7 @@ def evaluate(spark: SparkSession, tree: Expr, keys: DataFrame | None = None) ->
     used = leaves(flat)
     if isinstance(flat, Leaf) or isinstance(flat, Or) and len(used) == len(flat.children):
         rows = reduce(DataFrame.union, [_rows([used[k] for k in ks]) for ks in _scans(used)])
-        return _within(rows, keys).distinct()
+        return spread(_within(rows, keys), "value").distinct()
     return masks(spark, used, keys).where(predicate(flat, {leaf: k for k, leaf in enumerate(used)})).select("value")
 
 

@@ -57,16 +57,21 @@ def leaf(spark: SparkSession, sf_dir: str, name: str, tables: dict[str, DataFram
     return Leaf(name, tables[source], value, condition)
 
 
-def members(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """set_id, value rows of the sets named, each distinct."""
+def rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """set_id, value rows of the sets named, repeats included."""
     out = None
     for name in names:
         source, value, condition = SETS[name]
-        part = table(spark, sf_dir, source).where(condition).select(F.lit(name).alias("set_id"), F.expr(value).cast("bigint").alias("value")).distinct()
+        part = table(spark, sf_dir, source).where(condition).select(F.lit(name).alias("set_id"), F.expr(value).cast("bigint").alias("value"))
         out = part if out is None else out.union(part)
     return out
 
 
+def members(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """set_id, value rows of the sets named, each distinct."""
+    return columns.spread(rows(spark, sf_dir, *names), "set_id", "value").distinct()
+
+
 def leaf_sql(name: str) -> str:
     source, value, condition = SETS[name]
     return f"SELECT DISTINCT CAST({value} AS BIGINT) AS value FROM {source} WHERE {condition}"
@@ -131,7 +136,7 @@ FLAT = {
 def _flat(op: str, names: tuple[str, ...], strategy: str):
     if strategy == "mask":  # predicates over one table are one scan
         return lambda spark, sf: evaluate(spark, build(spark, sf, (op, *names) if op != "diff" else names[0] if len(names) == 1 else ("diff", names[0], ("or", *names[1:]))))
-    return lambda spark, sf: setops.combine(spark, op, [members(spark, sf, n).select("value") for n in names], strategy)
+    return lambda spark, sf: setops.combine(spark, op, [rows(spark, sf, n).select("value") for n in names], strategy)
 
 
 for _name, (_op, _names) in FLAT.items():
