@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import key, low
+from ..functions.columns import key, low, spread
 from . import codec
 
 
@@ -34,7 +34,7 @@ def encode(sets: DataFrame, standard: bool = False, write=codec.assemble) -> Dat
                 made = write(list(zip(*numbers, strict=True)), standard)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([made], pa.binary())], ["set_id", "payload"])
 
-    lows = sets.select(F.col("set_id").cast("string").alias("set_id"), key().alias("key"), low().alias("low")).distinct()
+    lows = spread(sets.select(F.col("set_id").cast("string").alias("set_id"), key().alias("key"), low().alias("low")), "set_id", "key").distinct()
     lists = lows.groupBy("set_id", "key").agg(F.array_sort(F.collect_list("low")).alias("lows"))
     blocks = lists.mapInArrow(block, "set_id string, key int, card int, form int, data binary")
     rows = blocks.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("key", "card", "form", "data"))).alias("blocks"))
