@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import key, low
+from ..functions.columns import key, low, spread
 
 # fixed values of the format
 ARRAY, BITMAP, RUN = 0, 1, 2
@@ -41,7 +41,7 @@ def over_borders(block_runs: DataFrame, *by: str) -> DataFrame:
 
 def block_runs(sets: DataFrame) -> DataFrame:
     """set_id, key, start, length: maximal runs within each block; a run holds length + 1 values."""
-    lows = sets.select("set_id", key().alias("key"), low().alias("low")).distinct()
+    lows = spread(sets.select("set_id", key().alias("key"), low().alias("low")), "set_id", "key").distinct()
     island = F.col("low") - F.row_number().over(Window.partitionBy("set_id", "key").orderBy("low"))
     return lows.withColumn("island", island).groupBy("set_id", "key", "island").agg(F.min("low").alias("start"), (F.max("low") - F.min("low")).alias("length")).select("set_id", "key", "start", "length")
 
@@ -110,7 +110,7 @@ def layouts(stats: DataFrame, op: str, operands: Sequence[str]) -> DataFrame:
 
 def containers(sets: DataFrame) -> DataFrame:
     """Layout C: set_id, key, form, card, lows (ascending) of each block, at most 65,536 lows a row."""
-    lows = sets.select("set_id", key().alias("key"), low().alias("low")).distinct()
+    lows = spread(sets.select("set_id", key().alias("key"), low().alias("low")), "set_id", "key").distinct()
     return lows.groupBy("set_id", "key").agg(F.array_sort(F.collect_list("low")).alias("lows")).withColumn("card", F.size("lows"))
 
 
